@@ -17,8 +17,9 @@ BLANKS = " \t\r\n\f\u000b "
 def unique_tokens(rows: DataFrame, *columns: str) -> DataFrame:
     """One row per (sid, ix) with the asked columns of its latest delivery, partitioned by sid."""
     rows = rows.filter(F.col("sid").isNotNull() & F.col("ix").isNotNull())
-    latest = F.max(F.struct("load_ts", *columns))
-    one = rows.select("sid", "ix", "load_ts", *columns).repartition("sid").groupBy("sid", "ix").agg(latest.alias("v"))
+    values = [c for c in columns if c != "load_ts"]
+    latest = F.max(F.struct("load_ts", *values))
+    one = rows.select("sid", "ix", "load_ts", *values).repartition("sid").groupBy("sid", "ix").agg(latest.alias("v"))
     return one.select("sid", "ix", *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
