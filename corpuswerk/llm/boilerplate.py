@@ -3,7 +3,8 @@
 Nodes of a weighted graph are the lines of a source, weighted by the number of its articles that
 hold them; edges join lines that follow each other in an article, weighted alike. Nodes and edges
 of high support stay, connected components are the boilerplate blocks, and every occurrence of a
-block's line is deleted.
+block's line is deleted. Lines only serve to find them: what stays of an article are its sentences
+of all parts (wert) with the words as they stand.
 
 Defined cases: as in operators.annotated for missing keys and repeated deliveries; a null source
 is a source of its own; a sentence without letters has an empty line, is never boilerplate and
@@ -61,10 +62,17 @@ def find_boilerplate(rows: DataFrame, least_articles: int = 4) -> Boilerplate:
     return Boilerplate(blocks, found, lines)
 
 
-def without_boilerplate(result: Boilerplate) -> DataFrame:
-    """(id_article, n_kept, n_removed, text) of each article, its remaining lines in order."""
+def whole_sentences(rows: DataFrame) -> DataFrame:
+    """(sid, id_article, text) of each sentence of every part, its words as they stand."""
+    tokens = unique_tokens(rows, "id_article", "word")
+    words = F.sort_array(F.collect_list(F.struct("ix", "word")))
+    return tokens.groupBy("sid").agg(F.min("id_article").alias("id_article"), F.array_join(words["word"], " ").alias("text"))
+
+
+def without_boilerplate(rows: DataFrame, result: Boilerplate) -> DataFrame:
+    """(id_article, n_kept, n_removed, text) of each article, its remaining sentences in order, one a line."""
     marks = result.found.select("sid", F.lit(True).alias("gone"))
-    each = result.lines.join(marks, "sid", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    kept = F.sort_array(F.collect_list(F.when(~F.col("gone"), F.struct("sid", "line"))))
+    each = whole_sentences(rows).join(marks, "sid", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    kept = F.sort_array(F.collect_list(F.when(~F.col("gone"), F.struct("sid", "text"))))
     out = each.groupBy("id_article").agg(F.sum((~F.col("gone")).cast("bigint")).alias("n_kept"), F.sum(F.col("gone").cast("bigint")).alias("n_removed"), kept.alias("kept"))
-    return out.select("id_article", "n_kept", "n_removed", F.array_join("kept.line", "\n").alias("text"))
+    return out.select("id_article", "n_kept", "n_removed", F.array_join("kept.text", "\n").alias("text"))

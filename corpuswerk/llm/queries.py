@@ -31,7 +31,8 @@ def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.without_boilerplate(boilerplate.find_boilerplate(table(spark, sf_dir, "df_fields")))
+    rows = table(spark, sf_dir, "df_fields")
+    return boilerplate.without_boilerplate(rows, boilerplate.find_boilerplate(rows))
 
 
 def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:

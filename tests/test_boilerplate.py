@@ -1,0 +1,19 @@
+from corpuswerk.llm import boilerplate
+
+
+def test_articles_keep_their_words_and_all_their_parts(spark):
+    rows, months = [], ["", "April", "Mai", "Juni", "Juli"]
+
+    def sentence(sid, article, wert, words):
+        rows.extend((sid, ix, article, "A", wert, word) for ix, word in enumerate(words.split(), 1))
+
+    for a in range(1, 5):
+        sentence(10 * a, a, "titel", f"Nr. {a} : Graz")
+        sentence(10 * a + 1, a, "inhalt", f"Am {a}. {months[a]} , 12 Uhr")
+        sentence(10 * a + 2, a, "inhalt", "2 : 1")
+        sentence(10 * a + 3, a, "inhalt", "Lesen Sie mehr !")
+    sentence(50, 5, "titel", "Lesen Sie mehr !")
+    frame = spark.createDataFrame(rows, "sid bigint, ix int, id_article bigint, docsrc string, wert string, word string").selectExpr("*", "timestamp'2024-01-01' as load_ts")
+    out = {r[0]: tuple(r)[1:] for r in boilerplate.without_boilerplate(frame, boilerplate.find_boilerplate(frame)).collect()}
+    # "2 : 1" has no letter and is no boilerplate; a title is never boilerplate.
+    assert out == {a: (3, 1, f"Nr. {a} : Graz\nAm {a}. {months[a]} , 12 Uhr\n2 : 1") for a in range(1, 5)} | {5: (1, 0, "Lesen Sie mehr !")}
