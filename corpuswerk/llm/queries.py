@@ -46,7 +46,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = cooccurrence.pair_counts(_baskets(spark, sf_dir), "sid", "term", min_count=5)
+    pairs = cooccurrence.pair_counts(_baskets(spark, sf_dir), "sid", "term")
     return pairs.withColumns({"lift": F.round("lift", 6), "pmi": F.round("pmi", 6)})
 
 

@@ -1,0 +1,9 @@
+from corpuswerk.llm import queries
+
+
+def test_pairs_of_one_sentence_are_counted(spark, tmp_path):
+    rows = [(1, 1, "Graz", None, "LOC", "B"), (1, 2, "Wien", None, "LOC", "B"), (2, 1, "Graz", None, "LOC", "B")]
+    spark.createDataFrame(rows, "sid bigint, ix int, word string, lemma string, ner string, iob string").selectExpr("*", "timestamp'2024-01-01' as load_ts").write.parquet(f"{tmp_path}/df_fields.parquet")
+    pairs = [tuple(r) for r in queries.p7_pairs(spark, str(tmp_path)).select("term_a", "term_b", "n_ab", "n_a", "n_b", "n").collect()]
+    assert pairs == [("graz", "wien", 1, 2, 1, 2)]
+    assert queries.p7_found(spark, str(tmp_path)).count() == 0
