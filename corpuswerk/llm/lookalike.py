@@ -118,7 +118,7 @@ def canonical_stretches(stretches: DataFrame) -> DataFrame:
     """(stretch, form) of distinct stretches."""
     table = tables(stretches.sparkSession)
     crlf = F.replace("stretch", F.lit("\r\n"), F.lit("\n"))
-    each = stretches.select("stretch", F.posexplode(F.split(crlf, "(?!^)")).alias("pos", "c"))
+    each = stretches.select("stretch", F.posexplode(F.split(crlf, "")).alias("pos", "c"))
     unseen = table.sparkSession.createDataFrame([(c,) for c, to in sorted(mapping().items()) if not to], "c string")
     each = each.join(F.broadcast(unseen), "c", "left_anti").join(F.broadcast(table), "c", "left")
     each = each.select("stretch", "pos", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("d", "c").alias("d"), F.coalesce("class", F.lit(0)).alias("class"))

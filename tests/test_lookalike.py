@@ -1,0 +1,9 @@
+from corpuswerk.llm import lookalike
+
+
+def test_characters_beyond_the_first_plane_stay_whole(spark):
+    texts = ["x\U0001f44dy", "x\U0001f680y", "x??y", "\U0001d173", "é\U0001f44d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    forms = dict(lookalike.canonical(docs, "doc_id", "text").collect())
+    assert forms == dict(enumerate(texts[:4])) | {4: "é\U0001f44d"}
+    assert lookalike.look_alikes(docs).count() == 0
