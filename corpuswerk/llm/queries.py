@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuswerk.llm import boilerplate, cooccurrence, encoding, lookalike, mixing, termstats
+from corpuswerk.llm import boilerplate, cooccurrence, encoding, linking, lookalike, mixing, termstats
 from corpuswerk.operators.annotated import terms
 from corpuswerk.sources.tables import table
 
 ORACLES: dict[str, str] = {}
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.link(table(spark, sf_dir, "df_fields"), table(spark, sf_dir, "gazetteer"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = termstats.load_in_two_steps(table(spark, sf_dir, "df_fields"))
     return store.marked().filter("mark is not null").select("term", "mark")
@@ -81,4 +85,4 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical(table(spark, sf_dir, "documents").dropDuplicates(["doc_id"]), "doc_id", "text").select(F.col("key").alias("doc_id"), "form")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_blocks, p5_clean, p7_found, p7_pairs, p8_ids, p8_decoded, p9_sample, p9_shares, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p5_found, p5_blocks, p5_clean, p7_found, p7_pairs, p8_ids, p8_decoded, p9_sample, p9_shares, p10_found, p10_forms)}

@@ -1,0 +1,11 @@
+from corpuswerk.llm import queries
+
+
+def test_misspelt_names_are_given_their_entry(spark, tmp_path):
+    names = ["Gewerkschaft G1urosreul", "Glaftbegr", "Bank Brockos", "BrockosBank", "Sankt Glaftberg", "die-SBST", "Krengosdröx", "Krngosdrox AG", "Partei Schlöxel", "Rathaus", "Brockos Bank", "Ver. Drömm"]
+    rows = [(k, ix, word, "ORG", "B" if ix == 1 else "I") for k, name in enumerate(names) for ix, word in enumerate(name.split(), 1)]
+    spark.createDataFrame(rows, "sid bigint, ix int, word string, ner string, iob string").selectExpr("*", "timestamp'2024-01-01' as load_ts").write.parquet(f"{tmp_path}/df_fields.parquet")
+    entries = [("1", "Gewerkschaft Glurosreul", None), ("2", "Glaftberg", []), ("3", "Brockos Bank", ["SBST"]), ("4", "Krengosdröx AG", None), ("5", "Verein Drömm", None), ("6", "Verband Drönnmer", None)]
+    spark.createDataFrame(entries, "pid string, label string, aliases array<string>").write.parquet(f"{tmp_path}/gazetteer.parquet")
+    out = {r.sid: r.pid for r in queries.p2_found(spark, str(tmp_path)).collect()}
+    assert out == dict(enumerate(["1", "2", "3", "3", "2", "3", "4", "4", "", ""])) | {11: "5"}
