@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuswerk.llm import boilerplate, cooccurrence, encoding, linking, lookalike, mixing, termstats
-from corpuswerk.operators.annotated import terms
+from corpuswerk.llm import boilerplate, cooccurrence, encoding, linking, lookalike, mixing, persons, termstats
+from corpuswerk.operators.annotated import mentions, terms
 from corpuswerk.sources.tables import table
 
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,12 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termstats.load_in_two_steps(table(spark, sf_dir, "df_fields")).marked()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    authors = table(spark, sf_dir, "doc").select(F.col("autor").alias("spelling"))
+    named = mentions(table(spark, sf_dir, "df_fields")).filter("kind = 'PER'").select("spelling")
+    return persons.same_names(authors.unionByName(named))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.find_boilerplate(table(spark, sf_dir, "df_fields")).found.select("sid")
 
@@ -85,4 +91,4 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical(table(spark, sf_dir, "documents").dropDuplicates(["doc_id"]), "doc_id", "text").select(F.col("key").alias("doc_id"), "form")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p5_found, p5_blocks, p5_clean, p7_found, p7_pairs, p8_ids, p8_decoded, p9_sample, p9_shares, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p4_found, p5_found, p5_blocks, p5_clean, p7_found, p7_pairs, p8_ids, p8_decoded, p9_sample, p9_shares, p10_found, p10_forms)}

@@ -1,0 +1,12 @@
+from corpuswerk.llm import queries
+
+
+def test_spellings_of_one_person_are_linked(spark, tmp_path):
+    same = ["Josef Türtklonwalder", "Türtklonwalder, J.", "JOSEF TUERTKLONWALDER", "Dr. Josef F. Türtklonwadler", "Sepp Türtklonwalder", "Türtklonwalder Josef"]
+    office = ["Redaktionsbüro Türtklonwalder", "Red.-Büro Türtklonwalder"]
+    others = ["Leopold Türtklonwalder", "A. Glauckholsam", "Anna Glauckholsam", "Andreas Glauckholsam", ""]
+    spark.createDataFrame([(x,) for x in [*same[1:], *office, *others, None]], "autor string").write.parquet(f"{tmp_path}/doc.parquet")
+    rows = [(1, 1, "Josef", "PER", "B"), (1, 2, "Türtklonwalder", "PER", "I"), (2, 1, "Josef", "LOC", "B")]
+    spark.createDataFrame(rows, "sid bigint, ix int, word string, ner string, iob string").selectExpr("*", "timestamp'2024-01-01' as load_ts").write.parquet(f"{tmp_path}/df_fields.parquet")
+    out = {tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()}
+    assert out == {(a, b) for group in (same, office) for a in group for b in group if a < b}
