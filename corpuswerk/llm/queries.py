@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswerk.llm import boilerplate, cooccurrence, encoding, linking, lookalike, mixing, persons, termstats
-from corpuswerk.operators.annotated import mentions, terms
+from corpuswerk.operators.annotated import mentions, terms, unique_tokens
 from corpuswerk.sources.tables import table
 
 ORACLES: dict[str, str] = {}
@@ -46,8 +46,8 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = table(spark, sf_dir, "df_fields").filter("ner is not null and iob = 'B' and ix is not null")
-    return named.select("sid", F.explode(terms()).alias("term"))
+    tokens = unique_tokens(table(spark, sf_dir, "df_fields"), "lemma", "word", "ner", "iob")
+    return tokens.filter("ner is not null and iob = 'B'").select("sid", F.explode(terms()).alias("term"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,7 @@ def mentions(tokens: DataFrame) -> DataFrame:
     A run opens at iob B, or at I where the token before is not of an open run; other iob values
     and rows without ner belong to no run.
     """
-    named = tokens.filter(F.col("ner").isNotNull() & F.col("iob").isin("B", "I"))
-    named = unique_tokens(named, "ner", "iob", "word")
+    named = unique_tokens(tokens, "ner", "iob", "word").filter(F.col("ner").isNotNull() & F.col("iob").isin("B", "I"))
     order = Window.partitionBy("sid").orderBy("ix")
     opens = (F.col("iob") == "B") | F.lag("ix").over(order).isNull() | (F.lag("ix").over(order) != F.col("ix") - 1)
     runs = named.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(order))

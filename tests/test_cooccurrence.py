@@ -1,4 +1,5 @@
 from corpuswerk.llm import queries
+from corpuswerk.operators.annotated import mentions
 
 
 def test_pairs_of_one_sentence_are_counted(spark, tmp_path):
@@ -7,3 +8,11 @@ def test_pairs_of_one_sentence_are_counted(spark, tmp_path):
     pairs = [tuple(r) for r in queries.p7_pairs(spark, str(tmp_path)).select("term_a", "term_b", "n_ab", "n_a", "n_b", "n").collect()]
     assert pairs == [("graz", "wien", 1, 2, 1, 2)]
     assert queries.p7_found(spark, str(tmp_path)).count() == 0
+
+
+def test_only_the_latest_delivery_of_a_token_counts(spark, tmp_path):
+    rows = [(1, 1, "Graz", "LOC", "B", "2024-01-01"), (1, 1, "Linz", "LOC", "B", "2024-01-02"), (1, 2, "Wien", "LOC", "B", "2024-01-01"), (1, 3, "Mai", "MISC", "B", "2024-01-01"), (1, 3, "Mai", None, None, "2024-01-02")]
+    frame = spark.createDataFrame(rows, "sid bigint, ix int, word string, ner string, iob string, at string").selectExpr("*", "string(null) as lemma", "timestamp(at) as load_ts")
+    frame.write.parquet(f"{tmp_path}/df_fields.parquet")
+    assert [tuple(r) for r in queries.p7_pairs(spark, str(tmp_path)).select("term_a", "term_b").collect()] == [("linz", "wien")]
+    assert sorted(r.spelling for r in mentions(frame).collect()) == ["Linz", "Wien"]
