@@ -1 +1 @@
-"""Column expressions."""
+"""Scalar functions as column expressions."""
