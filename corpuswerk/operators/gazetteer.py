@@ -118,7 +118,7 @@ def link_persons(tokens: DataFrame, persons: DataFrame, politicians: DataFrame |
     both = both.join(seen, ["id_article", "pid"], "left").withColumn("before", F.coalesce(F.col("first_sid") < F.col("sid"), F.lit(False)))
     both = both.withColumns({"anywhere": F.col("first_sid").isNotNull(), "resolved": F.col("full") | F.col("before")})
     if politicians is not None:
-        both = both.join(F.broadcast(politicians.select("pid", F.lit(True).alias("politic")).distinct()), "pid", "left")
+        both = both.join(politicians.select("pid", F.lit(True).alias("politic")).distinct(), "pid", "left")
         named = both.filter("resolved and politic").select("id_article", F.lit(True).alias("political")).distinct()
         both = both.join(named, "id_article", "left").withColumn("politic", F.coalesce(F.col("politic") & F.col("political"), F.lit(False)))
     else:

@@ -64,8 +64,7 @@ def parallel_edges(edges: DataFrame, weight: str = "weight") -> DataFrame:
 def clique_edges(items: DataFrame, group: list[str], place: str, item: str) -> DataFrame:
     """(src, dst, weight): pairs of the items of a group in their order, each item with itself too.
 
-    Items are counted by group first: a pair of different words weighs by the product of their counts in
-    the group, in the order of their first places; a word with itself by its own pairs.
+    An equi-join by group; groups are sentences or paragraphs, whose size doesn't grow with the corpus.
     """
     counted = items.filter(F.col(item).isNotNull()).select(*group, F.col(place).alias("p"), F.col(item).alias("w"))
     a, b = counted.select(*group, F.col("p").alias("pa"), F.col("w").alias("src")), counted.select(*group, F.col("p").alias("pb"), F.col("w").alias("dst"))

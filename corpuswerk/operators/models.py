@@ -1,7 +1,7 @@
 """Topic and embedding models over tokens, with Spark's own estimators.
 
 Defined cases: documents without tokens have an empty vector; a word out of the vocabulary has no
-vector and is left out of a query; ties of similarity go to the smaller word. Fits see all
+vector and is left out of a query, and so is a vector of zeros; ties of similarity go to the smaller word. Fits see all
 documents; only the reports are top lists.
 """
 
@@ -76,7 +76,7 @@ def most_similar(vectors: DataFrame, query: DataFrame, n: int = 50, leave_out: l
     out = vectors.filter(~F.col(key).isin(leave_out)) if leave_out else vectors
     out = out.join(one)  # one row
     cosine = F.try_divide(_dot(F.col("vector"), F.col("q")), F.sqrt(_dot(F.col("vector"), F.col("vector"))) * F.sqrt(_dot(F.col("q"), F.col("q"))))
-    return out.select(key, F.round(cosine, 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
+    return out.select(key, F.round(cosine, 6).alias("similarity")).filter("similarity is not null").orderBy(F.desc("similarity"), key).limit(n)
 
 
 def combined(vectors: DataFrame, plus: list, minus: list, key: str = "word") -> DataFrame:

@@ -85,7 +85,7 @@ def pair_partners(pairs: DataFrame, word: str) -> DataFrame:
 def with_polarity(triplets: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Adds polarity POS, NEG or NEUT of the verb; lexicon: (word, kind); positive goes first."""
     polar = lexicon.filter("kind in ('POS', 'NEG')").groupBy(F.col("word").alias("verb")).agg(F.max("kind").alias("polarity"))
-    return triplets.join(F.broadcast(polar), "verb", "left").withColumn("polarity", F.coalesce("polarity", F.lit("NEUT")))
+    return triplets.join(polar, "verb", "left").withColumn("polarity", F.coalesce("polarity", F.lit("NEUT")))
 
 
 def subject_object_pairs(triplets: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def split_by_polarity(triplets: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def neutral_verbs(triplets: DataFrame, words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(verb, n): verbs outside of the lexicon of triplets that name one of words; a triplet counts once a word it names."""
-    keyed = triplets.join(F.broadcast(lexicon.select(F.col("word").alias("verb")).distinct()), "verb", "left_anti")
+    keyed = triplets.join(lexicon.select(F.col("word").alias("verb")).distinct(), "verb", "left_anti")
     keyed = keyed.withColumn("word", F.explode(F.array_distinct(F.concat("subj", "obj")))).join(words.select("word").distinct(), "word", "left_semi")
     return keyed.groupBy("verb").agg(F.count("*").alias("n"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,18 +13,29 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only where none is named, as in tests."""
-    where = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
+    """The folder the cluster names; only in local mode, as in tests, a temporary one where none is named."""
+    where = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="corpuswerk-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared one."""
+    return f"{shared_dir(spark)}/corpuswerk-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results still to be read must be written before."""
+    drop_path(spark, own_dir(spark))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -41,11 +54,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a table's size, for deciding what may be broadcast."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def checked_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a reference table whose size is proven to stay within limit rows; fail beyond it."""
     rows = df.take(limit + 1)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuswerk.plans.storage import checked_rows
+
 # Kind of edge by word class.
 EDGES = {"NOUN": "NOUN", "ADJ": "ADJ", "VERB": "VERB", "ADV": "ADVERB"}
 FIELDS = {"inhalt": "content", "stichwort": "keywords", "titel": "title"}
@@ -49,21 +51,21 @@ def word_mentions(tokens: DataFrame, stop: DataFrame | None = None) -> DataFrame
 def _with_stop(mentions: DataFrame, stop: DataFrame | None) -> DataFrame:
     if stop is None:
         return mentions.withColumn("is_stop", F.lit(False))
-    listed = F.broadcast(stop.select("word", F.lit(True).alias("is_stop")).distinct())  # a word list
+    listed = stop.select("word", F.lit(True).alias("is_stop")).distinct()
     return mentions.join(listed, "word", "left").withColumn("is_stop", F.coalesce("is_stop", F.lit(False)))
 
 
 def polarity_mentions(mentions: DataFrame, lexicon: DataFrame) -> DataFrame:
     """mentions with etype POS, NEG or NEUT, exactly one each, positive looked up first, and the valence, that of NEG with its sign turned."""
     polar = lexicon.filter("kind in ('POS', 'NEG')").groupBy("word").agg(F.max("kind").alias("kind"), F.max_by("value", "kind").alias("value"))
-    out = mentions.drop("etype").join(F.broadcast(polar), "word", "left")
+    out = mentions.drop("etype").join(polar, "word", "left")
     valence = F.when(F.col("kind") == "NEG", -F.col("value")).otherwise(F.col("value"))
     return out.withColumns({"etype": F.coalesce("kind", F.lit("NEUT")), "valence": valence}).drop("kind", "value")
 
 
 def emotion_mentions(mentions: DataFrame, emotions: DataFrame) -> DataFrame:
     """mentions with etype the emotion: one row for each emotion of a word."""
-    return mentions.drop("etype").join(F.broadcast(emotions.select("word", F.col("kind").alias("etype")).distinct()), "word")
+    return mentions.drop("etype").join(emotions.select("word", F.col("kind").alias("etype")).distinct(), "word")
 
 
 def entity_mentions(spans: DataFrame, sentences: DataFrame, names: DataFrame | None = None, stop: DataFrame | None = None) -> DataFrame:
@@ -105,15 +107,20 @@ def entity_nodes(vocabulary: DataFrame, names: DataFrame, lexicon: DataFrame) ->
     label = names.groupBy(F.col("pid").alias("entity")).agg(F.min("name").alias("name"))
     out = vocabulary.join(label, "entity", "left").withColumn("label", F.coalesce("name", "entity"))
     polar = lexicon.filter("kind in ('POS', 'NEG')").groupBy(F.col("word").alias("key")).agg(F.max("kind").alias("kind"), F.max_by("value", "kind").alias("value"))
-    out = out.withColumn("key", F.lower("label")).join(F.broadcast(polar), "key", "left")
+    out = out.withColumn("key", F.lower("label")).join(polar, "key", "left")
     valence = F.when(F.col("kind") == "NEG", -F.col("value")).otherwise(F.col("value"))
     return out.select(F.coalesce("kind", F.lit("NEUT")).alias("polarity"), "ent_id", clean("label").alias("label"), F.when(F.col("name").isNotNull(), F.col("entity")).alias("wid"), valence.alias("valence"))
 
 
+#: Lexicon words that may be looked for inside of words.
+MAX_PARTS = 10_000
+
+
 def labelled_by_substring(words: DataFrame, lexicon: DataFrame, label: str) -> DataFrame:
-    """(word, label): words that contain a lexicon word, whatever their case; the word list is broadcast against distinct words."""
-    keys = F.broadcast(lexicon.select(F.lower("word").alias("key")).distinct())
-    return words.select("word").distinct().join(keys, F.contains(F.lower("word"), F.col("key")), "left_semi").withColumn("label", F.lit(label))
+    """(word, label): distinct words that contain a lexicon word, whatever their case; a lexicon beyond MAX_PARTS is refused."""
+    keys = sorted({r[0] for r in checked_rows(lexicon.select(F.lower("word")).dropna().distinct(), MAX_PARTS, "the lexicon") if r[0]})
+    hit = F.exists(F.array(*map(F.lit, keys)), lambda k: F.contains(F.lower("word"), k)) if keys else F.lit(False)
+    return words.select("word").distinct().filter(hit).withColumn("label", F.lit(label))
 
 
 def class_words(mentions: DataFrame) -> DataFrame:
