@@ -41,7 +41,11 @@ def _arguments(tokens: DataFrame, verbs: DataFrame, relations: list[str]) -> Dat
 
 
 def triples(tokens: DataFrame) -> DataFrame:
-    """(sid, verb_ix, subj, verb, obj) of every subject with every object of a verb."""
+    """(sid, verb_ix, subj, verb, obj) of every subject with every object of a verb.
+
+    The columns it needs are written once; verbs, arguments and conjuncts are all joined from there.
+    """
+    tokens = materialized(tokens.filter("wclass in ('VERB', 'NOUN')").select("sid", "ix", "ixDEP", "dep", "wclass", "good", "ent_id"), "svo_tokens")
     verbs = tokens.filter("wclass = 'VERB' and good").select(F.col("sid").alias("v_sid"), F.col("ix").alias("verb_ix"), F.col("ent_id").alias("verb"))
     subj = _arguments(tokens, verbs, SUBJECTS).select("sid", "verb_ix", F.col("ent_id").alias("subj"))
     obj = _arguments(tokens, verbs, OBJECTS).select("sid", "verb_ix", F.col("ent_id").alias("obj"))

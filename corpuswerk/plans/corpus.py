@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpuswerk.operators import gazetteer, wordclass
 from corpuswerk.operators.annotated import unique_tokens
 from corpuswerk.operators.stats import latest_headers
+from corpuswerk.plans.storage import materialized
 from corpuswerk.sinks import graph_tables
 from corpuswerk.sources.tables import table
 
@@ -64,7 +65,10 @@ def word_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mentions(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     """Mentions of words, entities, polarity and emotions, or of the parts asked for."""
     parts = parts or ("words", "entities", "polarity", "emotions")
-    out, words = None, word_mentions(spark, sf_dir)
+    out = None
+    if any(p != "entities" for p in parts):
+        words = word_mentions(spark, sf_dir)
+        words = materialized(words, "word_mentions") if len(parts) > 1 else words
     for part in parts:
         if part == "words":
             own = words.filter("etype is not null")

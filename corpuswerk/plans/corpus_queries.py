@@ -296,7 +296,7 @@ def tree_children(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _networks(spark: SparkSession, d: str, *parts: str) -> tuple[DataFrame, DataFrame]:
-    return corpus.mentions(spark, d, *parts), corpus.documents(spark, d)
+    return materialized(corpus.mentions(spark, d, *parts), "mentions"), corpus.documents(spark, d)
 
 
 @query
