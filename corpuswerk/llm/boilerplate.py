@@ -2,14 +2,17 @@
 
 Nodes of a weighted graph are the lines of a source, weighted by the number of its articles that
 hold them; edges join lines that follow each other in an article, weighted alike. Nodes and edges
-of high support stay, connected components are the boilerplate blocks, and every occurrence of a
-block's line is deleted. Lines only serve to find them: what stays of an article are its sentences
-of all parts (wert) with the words as they stand.
-
-Defined cases: as in operators.annotated for missing keys and repeated deliveries; a null source
-is a source of its own; a sentence without letters has an empty line, is never boilerplate and
-stays; a line repeated within one article counts once; a word without letters is left out of the
-line; empty tables give empty results.
+of high support stay, connected components are the boilerplate blocks, and the occurrences of the
+lines of a block are deleted. least_lines is how many lines make a block: with 1, as problem 5 has it,
+a line that stands alone is one; with more, only lines that edges tie to others go, and of an
+article only what holds so many neighbouring lines of the block. Lines only serve to find them: what
+stays of an article are its sentences of all parts (wert) with the words as they stand.
+
+Defined cases: as in operators.annotated for missing keys and repeated deliveries, the part (wert)
+being that of the latest delivery; a null source is a source of its own; a sentence without letters
+has an empty line, is never boilerplate and stays; a line repeated within one article counts once;
+a word without letters is left out of the line; very long lines are known by their digest; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ class Boilerplate:
 
 def sentence_lines(rows: DataFrame) -> DataFrame:
     """(sid, id_article, docsrc, line, node) of each sentence of the running text."""
-    tokens = unique_tokens(rows.filter("wert = 'inhalt'"), "id_article", "docsrc", "word")
+    tokens = unique_tokens(rows, "id_article", "docsrc", "wert", "word").filter("wert = 'inhalt'")
     word = F.regexp_replace(F.lower("word"), r"[^\p{L}]+", "")
     words = F.sort_array(F.collect_list(F.struct("ix", F.coalesce(word, F.lit("")).alias("w"))))
     lines = tokens.groupBy("sid").agg(F.min("id_article").alias("id_article"), F.min("docsrc").alias("docsrc"), words.alias("words"))
@@ -48,7 +51,7 @@ def _supported(pairs: DataFrame, keys: list[str], least: int) -> DataFrame:
     return pairs.select(*keys, "id_article").distinct().groupBy(*keys).agg(F.count("*").alias("support")).filter(F.col("support") >= least)
 
 
-def find_boilerplate(rows: DataFrame, least_articles: int = 4) -> Boilerplate:
+def find_boilerplate(rows: DataFrame, least_articles: int = 4, least_lines: int = 1) -> Boilerplate:
     lines = materialized(sentence_lines(rows), "lines")
     nodes = materialized(_supported(lines.filter("node is not null"), ["node"], least_articles), "nodes")
     before = F.lag("node").over(Window.partitionBy("id_article").orderBy("sid"))
@@ -58,10 +61,24 @@ def find_boilerplate(rows: DataFrame, least_articles: int = 4) -> Boilerplate:
     edges = _supported(steps, ["before", "node"], least_articles)
     blocks = connected_components(high, edges.select(F.col("before").alias("src"), F.col("node").alias("dst")), "node")
     blocks = blocks.select("node", F.col("component").alias("block")).join(nodes, "node")
+    if least_lines > 1:
+        sizes = blocks.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") >= least_lines).select("block")
+        blocks = blocks.join(sizes, "block", "left_semi").select("node", "block", "support")
     found = lines.filter("node is not null").join(blocks, "node").select("sid", "id_article", "docsrc", "line", "block", "support")
+    if least_lines > 1:
+        found = _occurrences(lines, found, least_lines)
     return Boilerplate(blocks, found, lines)
 
 
+def _occurrences(lines: DataFrame, found: DataFrame, least_lines: int) -> DataFrame:
+    """Of found only the sentences in a run of so many neighbouring ones of one block in their article."""
+    place = F.row_number().over(Window.partitionBy("id_article").orderBy("sid"))
+    placed = lines.filter("node is not null").select("id_article", "sid", place.alias("place"))
+    runs = found.join(placed, ["id_article", "sid"]).withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("id_article", "block").orderBy("sid")))
+    n = F.count("*").over(Window.partitionBy("id_article", "block", "run"))
+    return runs.withColumn("n", n).filter(F.col("n") >= least_lines).select("sid", "id_article", "docsrc", "line", "block", "support")
+
+
 def whole_sentences(rows: DataFrame) -> DataFrame:
     """(sid, id_article, text) of each sentence of every part, its words as they stand."""
     tokens = unique_tokens(rows, "id_article", "word")
