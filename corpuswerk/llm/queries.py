@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswerk.llm import boilerplate, cooccurrence, encoding, linking, lookalike, mixing, persons, termstats
+from corpuswerk.llm.sql import ORACLES as ORACLES
 from corpuswerk.operators.annotated import mentions, terms, unique_tokens
 from corpuswerk.sources.tables import table
 
-ORACLES: dict[str, str] = {}
-
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link(table(spark, sf_dir, "df_fields"), table(spark, sf_dir, "gazetteer"))
