@@ -1,9 +1,10 @@
 """Encoding of texts with a public byte-level tokenizer, and decoding.
 
 Documents are spread over blocks by a hash of their row. Each block gives its distinct words once;
-the words of all blocks are shuffled by word, so that each distinct word is encoded once (a word of
-many blocks once per salt), and the ids go back to the blocks, where they are put together by
-position. What is shuffled are the texts once and the vocabulary of each block, not every word.
+the words of all blocks are shuffled by word, so that each distinct word is encoded once (once per
+WORD_BLOCKS blocks that hold it), and the ids go back to the blocks, where they are put together by
+position. What is shuffled are the texts once and the vocabulary of each block, not every word. The
+number of tasks follows the number of blocks, so that a task's share stays the same at any size.
 
 A word is a stretch of text up to a blank that follows a visible character: there the tokenizer
 always starts a new piece, so that the ids of the words, one after the other, are the ids of the
@@ -12,7 +13,8 @@ other.
 
 Defined cases: null and empty texts get an empty list; special tokens in a text are ordinary text;
 a text of any length is cut into words; repeated rows are encoded as they stand; a null doc_id is
-kept; other columns are ignored; an empty table gives an empty result.
+kept; columns asked for with keep stand beside the result, others are ignored; an empty table gives
+an empty result; decoding gives null for null ids and an empty text for none.
 """
 
 from __future__ import annotations
@@ -34,7 +36,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A block holds about so many rows, or bytes of text if that makes more blocks.
 BLOCK_ROWS = 2000
 BLOCK_BYTES = 4_000_000
-SALTS = 4
+#: A word is encoded once for so many blocks that hold it.
+WORD_BLOCKS = 50_000
+#: Blocks of a task.
+TASK_BLOCKS = 4
 #: A blank between white space on either side: pieces there depend on the whole run.
 ENTANGLED = re.compile(r"\s (?!\S)")
 BEFORE_WORD = re.compile(r"(?<=\S)(?= )")
@@ -56,11 +61,11 @@ def words(text: str) -> list[str]:
     return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+def _blocks(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, int]:
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     rows, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(1, -(-rows // BLOCK_ROWS), -(-size // BLOCK_BYTES))
-    return own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
+    return own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int")), n
 
 
 def _vocabulary(table: pa.Table) -> pa.Table:
@@ -95,31 +100,41 @@ def _assemble(docs: pa.Table, vocabulary: pa.Table) -> pa.Table:
             for w in words(text):
                 row += ids[w]
         out.append(row)
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32()))})
+    return _beside(docs, "ids", pa.array(out, pa.list_(pa.int32())))
+
+
+def _beside(docs: pa.Table, name: str, values: pa.Array) -> pa.Table:
+    kept = {c: docs.column(c) for c in docs.column_names if c.startswith("kept_")}
+    return pa.table({"doc_id": docs.column("doc_id"), name: values} | kept)
 
 
 def _count(docs: pa.Table, vocabulary: pa.Table) -> pa.Table:
     ids = dict(zip(vocabulary.column("word").to_pylist(), pc.list_value_length(vocabulary.column("ids")).to_pylist()))
     out = [sum(map(ids.__getitem__, words(text))) if text else 0 for text in docs.column("text").to_pylist()]
-    return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(out, pa.int64())})
+    return _beside(docs, "n_tokens", pa.array(out, pa.int64()))
 
 
-def _put_together(docs: DataFrame, how, schema: str, id_col: str, text_col: str, path: str) -> DataFrame:
-    blocks = _blocks(docs, id_col, text_col)
-    found = blocks.groupBy("block").applyInArrow(_vocabulary, "block int, word string")
-    salted = found.repartition(F.col("word"), F.pmod("block", F.lit(SALTS))).sortWithinPartitions("word")
-    encoded = salted.mapInArrow(_encode_sorted(path), "block int, word string, ids array<int>")
-    return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(how, schema)
+def _put_together(docs: DataFrame, how, schema: str, id_col: str, text_col: str, path: str, keep: tuple[str, ...]) -> DataFrame:
+    blocks, n = _blocks(docs, id_col, text_col, keep)
+    tasks = max(1, -(-n // TASK_BLOCKS))
+    blocks = blocks.repartition(tasks, "block")
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    found = blocks.select("block", "text").groupBy("block").applyInArrow(_vocabulary, "block int, word string")
+    salted = found.repartition(tasks, F.col("word"), F.pmod("block", F.lit(-(-n // WORD_BLOCKS)))).sortWithinPartitions("word")
+    encoded = salted.mapInArrow(_encode_sorted(path), "block int, word string, ids array<int>").repartition(tasks, "block")
+    schema = ", ".join([schema, *(f"kept_{c} {kinds[f'kept_{c}']}" for c in keep)])
+    out = blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(how, schema)
+    return out.withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids) of every row."""
-    return _put_together(docs, _assemble, "doc_id bigint, ids array<int>", id_col, text_col, path)
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids) of every row, and the columns to keep."""
+    return _put_together(docs, _assemble, "doc_id bigint, ids array<int>", id_col, text_col, path, keep)
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every row."""
-    return _put_together(docs, _count, "doc_id bigint, n_tokens bigint", id_col, text_col, path)
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens) of every row, and the columns to keep."""
+    return _put_together(docs, _count, "doc_id bigint, n_tokens bigint", id_col, text_col, path, keep)
 
 
 def token_bytes(spark, path: str = VOCABULARY) -> DataFrame:
@@ -129,8 +144,12 @@ def token_bytes(spark, path: str = VOCABULARY) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids): ids joined to the token-byte table and put together by position; equal rows give one."""
-    each = encoded.select("doc_id", "ids").distinct().select("doc_id", F.xxhash64("doc_id", "ids").alias("part"), F.posexplode_outer("ids").alias("pos", "id"))
-    each = each.join(F.broadcast(token_bytes(encoded.sparkSession, path)), "id", "left")
+    """(doc_id, text) of (doc_id, ids): ids joined to the token-byte table and put together by position; one row a row."""
+    # Lists that are equal are decoded once; rows meet their text by a digest of the list.
+    digest = F.when(F.col("ids").isNotNull(), F.unhex(F.md5(F.array_join("ids", ","))))
+    rows = encoded.select("doc_id", digest.alias("list"), "ids")
+    each = rows.filter("list is not null").select("list", "ids").distinct().select("list", F.posexplode_outer("ids").alias("pos", "id"))
+    each = each.join(F.broadcast(token_bytes(encoded.sparkSession, path)), "id", "left")  # a vocabulary file, of fixed size
     parts = F.sort_array(F.collect_list(F.struct("pos", F.hex("bytes").alias("h"))))
-    return each.groupBy("doc_id", "part").agg(parts.alias("p")).select("doc_id", F.decode(F.unhex(F.array_join("p.h", "")), "UTF-8").alias("text"))
+    texts = each.groupBy("list").agg(parts.alias("p")).select("list", F.decode(F.unhex(F.array_join("p.h", "")), "UTF-8").alias("text"))
+    return rows.select("doc_id", "list").join(texts, "list", "left").select("doc_id", "text")

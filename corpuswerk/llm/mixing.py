@@ -4,14 +4,20 @@ Every record of a source is wanted equally often: e times, e at most the source'
 part of e is taken by each record; the rest is the inclusion probability of one more copy, drawn by
 the cube method with the totals of tokens and of records held fixed. Within a block of records the
 probabilities move through the null space of the two constraints, three records at a time, until
-at most two stay fractional; those go on to the next round of blocks. Of the last twelve of a source
-the outcome nearest to its token total is taken. So no task sees more than one block, however large a source is.
+at most two stay fractional; those go on to the next round of blocks. The last LANDING of a source are
+the landing problem: of their outcomes with as many records as wanted, rounded either way, the one
+nearest to the token total is taken. So no task sees more than one block, however large a source is,
+and the inclusion probabilities hold for all but these last few.
+
+How large the sample is: without a total the most that keeps every share exact under all caps, so
+that one small source may hold down the others. With a total the size asked for; a source whose
+capped records don't reach its share gives all it can, and `shortfall` tells how many tokens it lacks.
 
 Defined cases: records without tokens, of a null source or of a source that isn't listed aren't
 drawn; a listed source without tokens can't have its share, the shares of the others are scaled up
 to one; repeated targets of a source are added up with the smallest cap; nulls, negative shares and
-caps count as zero; the size of the sample is the largest that keeps all caps; ties are settled by
-a hash of the record; repeated rows are records of their own; empty tables give an empty sample.
+caps count as zero; ties are settled by a hash of the record; repeated rows and null ids are records
+of their own; extra columns are ignored; empty tables give an empty sample.
 """
 
 from __future__ import annotations
@@ -61,11 +67,11 @@ def _step(p: list[float], live: list[int], u: tuple[float, ...], rng: random.Ran
 
 
 def land(p: list[float], x: list[float]) -> list[float]:
-    """Settle the few that are left: the outcome whose sum of p * x is nearest to what it was, fewer records at a tie."""
+    """Settle the few that are left: with their number rounded, the outcome whose sum of p * x is nearest to what it was, fewer records at a tie."""
     p = list(p)
     live = [i for i, v in enumerate(p) if EDGE < v < 1 - EDGE]
-    goal = sum(p[i] * x[i] for i in live)
-    outcomes = itertools.product((0.0, 1.0), repeat=len(live))
+    goal, number = sum(p[i] * x[i] for i in live), sum(p[i] for i in live)
+    outcomes = [o for o in itertools.product((0.0, 1.0), repeat=len(live)) if abs(sum(o) - number) < 1 - EDGE or len(live) == 1]
     best = min(outcomes, key=lambda o: (abs(sum(v * x[i] for v, i in zip(o, live)) - goal), sum(o)))
     for i, v in zip(live, best):
         p[i] = v
@@ -90,7 +96,7 @@ class Mix:
 
 
 def plan(stats: list[tuple[str, int, int]], targets: list[tuple[str, float, int]], total: float | None = None) -> dict[str, float]:
-    """Copies wanted of each record, by source; the sample has total tokens, or the most that all caps allow."""
+    """Copies wanted of each record, by source: of total tokens, each source capped, or of the most with all shares exact."""
     tokens = {s: t for s, _, t in stats if t}
     share, cap = {}, {}
     for source, w, r in targets:
@@ -102,18 +108,30 @@ def plan(stats: list[tuple[str, int, int]], targets: list[tuple[str, float, int]
     if not usable:
         return {}
     most = min(cap[s] * tokens[s] * whole / w for s, w in usable.items())
-    size = most if total is None else min(total, most)
+    size = most if total is None else total
     return {s: min(cap[s], w / whole * size / tokens[s]) for s, w in usable.items()}
 
 
-def mix(records: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1) -> Mix:
-    """records: (doc_id, source, n_tokens); targets: (source, target_share, max_repeats)."""
+def shortfalls(stats: list[tuple[str, int, int]], targets: list[tuple[str, float, int]], total: float | None) -> dict[str, float]:
+    """Tokens that a source lacks of its share of total; none without a total."""
+    if total is None:
+        return {}
+    tokens, wanted = {s: t for s, _, t in stats if t}, plan(stats, targets, total)
+    share = {s: sum(max(w or 0.0, 0.0) for x, w, _ in targets if x == s) for s in wanted}
+    whole = sum(share.values())
+    return {s: max(0.0, total * share[s] / whole - e * tokens[s]) for s, e in wanted.items()}
+
+
+def mix(records: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1, of_all: float | None = None) -> Mix:
+    """records: (doc_id, source, n_tokens); targets: (source, target_share, max_repeats); of_all: the total as a share of all tokens of listed sources."""
     spark = records.sparkSession
     listed = [tuple(r) for r in checked_rows(targets.select("source", "target_share", "max_repeats"), MAX_SOURCES, "the target list")]
     names = F.broadcast(targets.select("source").distinct())
     own = records.select("doc_id", "source", F.col("n_tokens").cast("bigint")).join(names, "source", "left_semi").filter("n_tokens > 0")
     own = materialized(own.select("doc_id", "source", "n_tokens"), "sized")
     stats = [tuple(r) for r in own.groupBy("source").agg(F.count("*"), F.sum("n_tokens")).collect()]  # a row per listed source
+    if of_all is not None:
+        total = of_all * sum(t for _, _, t in stats)
     wanted = plan(stats, listed, total)
     rows_of = {s: n for s, n, _ in stats}
     schema = "source string, copies double, rows bigint"
@@ -124,7 +142,7 @@ def mix(records: DataFrame, targets: DataFrame, total: float | None = None, seed
     start = start.select("source", "doc_id", "n_tokens", F.floor("copies").cast("int").alias("base"), (F.col("copies") - F.floor("copies")).alias("p"), F.xxhash64("doc_id", F.lit(seed)).alias("h"), "rows")
     decided, left = None, start
     counts = {s: rows_of[s] for s in wanted}
-    for depth in range(99):
+    for depth in itertools.count():
         last = max(counts.values(), default=0) <= BLOCK_ROWS
         n_blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("bigint")
         block = F.pmod(F.xxhash64("h", F.lit(depth)), n_blocks)
@@ -137,7 +155,9 @@ def mix(records: DataFrame, targets: DataFrame, total: float | None = None, seed
         if last:
             break
         left = done.filter(f"not ({settled})")
-        counts = {r[0]: r[1] for r in left.groupBy("source").count().collect()}
+        before, counts = counts, {r[0]: r[1] for r in left.groupBy("source").count().collect()}  # a row per listed source
+        if counts and max(counts.values()) >= max(before.values()):
+            raise RuntimeError("a round of the cube method has settled no record")
         sizes = spark.createDataFrame(list(counts.items()), "source string, rows bigint")
         left = left.join(F.broadcast(sizes), "source")
     drawn = decided.withColumn("repeats", F.col("base") + F.round("p").cast("int")).filter("repeats > 0")
@@ -147,7 +167,9 @@ def mix(records: DataFrame, targets: DataFrame, total: float | None = None, seed
     goal = targets.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     shares = goal.join(got, "source", "left").join(F.broadcast(everything), how="cross")  # one row
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    shares = shares.select("source", "target_share", "max_repeats", zero("n_docs"), zero("tokens"), zero("most_repeats"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
+    lacking = spark.createDataFrame([(s, round(v, 6)) for s, v in shortfalls(stats, listed, total).items()], "source string, shortfall double")
+    shares = shares.join(F.broadcast(lacking), "source", "left")
+    shares = shares.select("source", "target_share", "max_repeats", zero("n_docs"), zero("tokens"), zero("most_repeats"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), F.coalesce("shortfall", F.lit(0.0)).alias("shortfall"))
     return Mix(sample, shares)
 
 

@@ -67,11 +67,10 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.decode(encoding.encode(table(spark, sf_dir, "documents")))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+def _mix(spark: SparkSession, sf_dir: str, of_all: float | None = None) -> mixing.Mix:
     docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
     wanted = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
-    counted = encoding.count_tokens(wanted)
-    return mixing.mix(counted.join(wanted.select("doc_id", "source"), "doc_id"), targets)
+    return mixing.mix(encoding.count_tokens(wanted, keep=("source",)), targets, of_all=of_all)
 
 
 def p9_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +81,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares
 
 
+def p9_capped_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares and shortfalls where half of all tokens are asked for, whatever the smallest source allows."""
+    return _mix(spark, sf_dir, 0.5).shares
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alikes(table(spark, sf_dir, "documents"))
 
@@ -90,4 +94,4 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical(table(spark, sf_dir, "documents").dropDuplicates(["doc_id"]), "doc_id", "text").select(F.col("key").alias("doc_id"), "form")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p4_found, p5_found, p5_blocks, p5_clean, p7_found, p7_pairs, p8_ids, p8_decoded, p9_sample, p9_shares, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p4_found, p5_found, p5_blocks, p5_clean, p7_found, p7_pairs, p8_ids, p8_decoded, p9_sample, p9_shares, p9_capped_shares, p10_found, p10_forms)}
