@@ -4,14 +4,17 @@ Stretches of text around affected characters (combining marks and everything the
 cut out; each distinct stretch is exploded once to positioned code points, joined to the broadcast
 decomposition and look-alike tables, its combining marks are ordered by class, it is recomposed,
 and the texts are rebuilt from the stretches and what lies between them. Text without affected
-characters passes unchanged.
+characters passes unchanged. The form of a text depends on the text alone: each distinct affected
+text is formed once, and documents meet its form by a digest of the text.
 
 Stays visible: letter case, accents, sharp s, raised digits, fractions, missing blanks, line breaks.
+Look-alike letters become Latin wherever they stand, also in words wholly of another alphabet: for
+the eye these are the same as their Latin double, which is what the form is compared for.
 
 Defined cases: null stays null; empty text stays empty; texts without a visible character are never
 reported as look-alikes; a text of any length is handled, only its affected stretches are moved;
-repeated rows are texts of their own; a null doc_id is never reported; other columns are ignored;
-empty tables give empty results.
+repeated rows and rows with a null doc_id have their form each; a null doc_id is never reported as
+a look-alike; other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -131,37 +134,56 @@ def canonical_stretches(stretches: DataFrame) -> DataFrame:
     return built.select("stretch", _composed("form").alias("form"))
 
 
-def canonical(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, form) of rows with a unique key."""
-    own = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+def _digest(c: str | Column) -> Column:
+    return F.unhex(F.md5(c))
+
+
+def affected(text: str | Column) -> Column:
+    return F.coalesce((F.col(text) if isinstance(text, str) else text).rlike(suspect_pattern()), F.lit(False))
+
+
+def forms_of(dirty: DataFrame) -> DataFrame:
+    """(raw, form) of distinct affected texts (raw, text)."""
     pattern = stretch_pattern()
-    affected = F.col("text").rlike(suspect_pattern())
-    plain = own.filter(F.col("text").isNull() | ~affected).select("key", F.col("text").alias("form"))
-    dirty = own.filter(affected)
-    cut = dirty.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "stretch"))
+    cut = dirty.select("raw", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "stretch"))
+    cut = materialized(cut, "stretches")
     forms = canonical_stretches(cut.select("stretch").distinct())
-    put = cut.join(forms, "stretch").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "form")))["form"].alias("forms"))
+    put = cut.join(forms, "stretch").groupBy("raw").agg(F.sort_array(F.collect_list(F.struct("pos", "form")))["form"].alias("forms"))
     gaps = F.split("text", pattern, -1)
-    put = dirty.join(put, "key", "left").withColumn("forms", F.coalesce("forms", F.array().cast("array<string>")))
-    rebuilt = put.select("key", F.array_join(F.zip_with(gaps, "forms", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("form"))
-    return plain.unionByName(rebuilt)
+    put = dirty.join(put, "raw", "left").withColumn("forms", F.coalesce("forms", F.array().cast("array<string>")))
+    return put.select("raw", F.array_join(F.zip_with(gaps, "forms", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("form"))
 
 
-def _digest(c: str | Column) -> Column:
-    return F.unhex(F.md5(c))
+def canonical(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, form) of every row, whatever its key."""
+    own = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("dirty", affected("text"))
+    own = own.withColumn("raw", F.when(F.col("dirty"), _digest("text")))
+    dirty = materialized(own.filter("dirty").select("raw", "text").groupBy("raw").agg(F.min("text").alias("text")), "dirty_texts")
+    # Only affected rows meet a form; the others pass.
+    plain = own.filter("not dirty").select("key", F.col("text").alias("form"))
+    return plain.unionByName(own.filter("dirty").select("key", "raw").join(forms_of(dirty), "raw").select("key", "form"))
 
 
 def canonical_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, raw, form, visible): digests of each text and of its form; each distinct text is formed once."""
+    """(doc_id, raw, form, visible): digests of each text and of its form; each distinct text is formed once.
+
+    Texts are looked through once: what is affected is kept with its text, of others only the digest.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    own = own.withColumn("raw", _digest("text"))
-    affected = F.col("text").rlike(suspect_pattern())
-    visible = lambda c: F.col(c).rlike(r"\S")
-    plain = own.filter(~affected).select("doc_id", "raw", F.col("raw").alias("form"), visible("text").alias("visible"))
-    dirty = own.filter(affected)
-    distinct = dirty.select("raw", "text").distinct()
-    forms = canonical(distinct, "raw", "text").select(F.col("key").alias("raw"), _digest("form").alias("form"), visible("form").alias("visible"))
-    return plain.unionByName(dirty.select("doc_id", "raw").join(forms, "raw").select("doc_id", "raw", "form", "visible"))
+    own = own.select("doc_id", "text", _digest("text").alias("raw"), affected("text").alias("dirty"))
+    seen = F.col("text").rlike(r"\S")
+    own = materialized(own.select("doc_id", "raw", "dirty", seen.alias("visible"), F.when(F.col("dirty"), F.col("text")).alias("text")), "looked_through")
+    plain = own.filter("not dirty").select("doc_id", "raw", F.col("raw").alias("form"), "visible")
+    distinct = own.filter("dirty").groupBy("raw").agg(F.min("text").alias("text"))
+    forms = forms_of(materialized(distinct, "dirty_texts")).select("raw", _digest("form").alias("form"), F.col("form").rlike(r"\S").alias("visible"))
+    return plain.unionByName(own.filter("dirty").select("doc_id", "raw").join(forms, "raw").select("doc_id", "raw", "form", "visible"))
+
+
+def form_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, form, n_texts, n_docs): each document with a visible text, the class of its form, and how many texts and documents that has."""
+    every = materialized(canonical_texts(docs, id_col, text_col).filter("visible").select("doc_id", "raw", "form"), "forms")
+    sizes = every.groupBy("form", "raw").agg(F.count("*").alias("n")).groupBy("form").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_docs"))
+    return every.join(sizes, "form").select("doc_id", F.lower(F.hex("form")).alias("form"), "n_texts", "n_docs")
 
 
 def look_alikes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,7 +91,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.canonical(table(spark, sf_dir, "documents").dropDuplicates(["doc_id"]), "doc_id", "text").select(F.col("key").alias("doc_id"), "form")
+    return lookalike.canonical(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "form")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p4_found, p5_found, p5_blocks, p5_clean, p7_found, p7_pairs, p8_ids, p8_decoded, p9_sample, p9_shares, p9_capped_shares, p10_found, p10_forms)}
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.form_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p4_found, p5_found, p5_blocks, p5_clean, p7_found, p7_pairs, p8_ids, p8_decoded, p9_sample, p9_shares, p9_capped_shares, p10_found, p10_forms, p10_classes)}
