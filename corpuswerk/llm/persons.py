@@ -194,8 +194,11 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meetings(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b) of every two different readings of one band key, each two once."""
-    one = left.select(F.col("reading").alias("a"), "key")
+    """(a, b) of every two different readings of one band key, each two once.
+
+    Bands are many times the size Spark guesses for them, so that neither side is to be broadcast.
+    """
+    one = left.select(F.col("reading").alias("a"), "key").hint("shuffle_merge")
     return one.join(right.select(F.col("reading").alias("b"), "key"), "key").filter("a <> b").select("a", "b").distinct()
 
 
