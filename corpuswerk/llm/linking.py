@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuswerk.operators.annotated import mentions
-from corpuswerk.plans.storage import checked_rows
+from corpuswerk.plans.storage import checked_rows, materialized
 
 #: Entries the gazetteer may have; it is sent to every executor.
 MAX_ENTRIES = 100_000
@@ -234,5 +234,8 @@ def link(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pids], ["spelling", "pid"])
 
     found = mentions(rows).filter("kind in ('LOC', 'ORG')").join(F.broadcast(names.select(F.col("name").alias("spelling")).distinct()), "spelling", "left_anti")
-    spellings = found.select("spelling").distinct().mapInArrow(entries, "spelling string, pid string")
+    found = materialized(found.select("sid", "ix", "spelling"), "spellings")
+    # Spellings are short but take long: they are spread over all tasks, however few bytes they are.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spellings = found.select("spelling").distinct().repartition(tasks, F.xxhash64("spelling")).mapInArrow(entries, "spelling string, pid string")
     return found.join(spellings, "spelling").select("sid", "ix", "pid")
