@@ -119,7 +119,8 @@ def _put_together(docs: DataFrame, how, schema: str, id_col: str, text_col: str,
     tasks = max(1, -(-n // TASK_BLOCKS))
     blocks = blocks.repartition(tasks, "block")
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
-    found = blocks.select("block", "text").groupBy("block").applyInArrow(_vocabulary, "block int, word string")
+    # All columns are taken along, so that both uses of the blocks share one shuffle.
+    found = blocks.groupBy("block").applyInArrow(_vocabulary, "block int, word string")
     salted = found.repartition(tasks, F.col("word"), F.pmod("block", F.lit(-(-n // WORD_BLOCKS)))).sortWithinPartitions("word")
     encoded = salted.mapInArrow(_encode_sorted(path), "block int, word string, ids array<int>").repartition(tasks, "block")
     schema = ", ".join([schema, *(f"kept_{c} {kinds[f'kept_{c}']}" for c in keep)])
