@@ -42,11 +42,11 @@ def base(lemma: str = "lemma", word: str = "word") -> Column:
 
 
 def terms_of(base_col: str) -> Column:
-    """Distinct terms of a base, and the mark of the record."""
+    """Distinct terms of a base."""
     c = F.col(base_col)
     value = F.substring(c, 2, 1 << 30)
-    parts = F.when(F.startswith(c, F.lit("=")), F.array(value)).when(c.isNotNull(), F.split(value, r"\|")).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.array(F.lit(RECORD)), F.array_distinct(F.filter(parts, lambda x: x != "")))
+    several = F.startswith(c, F.lit("+")) & F.contains(c, F.lit("|"))
+    return F.when(several, F.array_distinct(F.filter(F.split(value, r"\|"), lambda x: x != ""))).when(value != "", F.array(value))
 
 
 def _bucket(n: int, *columns: str) -> Column:
@@ -115,7 +115,9 @@ class TermStore:
         after = fresh.select("id_article", "base", F.lit(1).cast("bigint").alias("d"))
         if self.tokens:
             after = self._changes(fresh)
-        each = after.filter("id_article is not null").select("id_article", "d", F.explode(terms_of("base")).alias("term"))
+        after = after.filter("id_article is not null")
+        each = after.select("id_article", "d", F.explode(terms_of("base")).alias("term"))
+        each = each.unionByName(after.groupBy("id_article").agg(F.sum("d").alias("d")).withColumn("term", F.lit(RECORD)))
         changed = each.groupBy("id_article", "term").agg(F.sum("d").alias("d")).filter("d <> 0").withColumn("bucket", _bucket(self.buckets, "id_article"))
         bags_at, changed = self._write(changed, "bags", BAGS)
         self._merge(self._steps(changed))
