@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuswerk.llm import boilerplate, cooccurrence, encoding, linking, lookalike, mixing, persons, termstats
 from corpuswerk.llm.sql import ORACLES as ORACLES
-from corpuswerk.operators.annotated import mentions, terms, unique_tokens
+from corpuswerk.operators.annotated import mentions, unique_tokens
 from corpuswerk.sources.tables import table
 
 
@@ -45,8 +45,10 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = unique_tokens(table(spark, sf_dir, "df_fields"), "lemma", "word", "ner", "iob")
-    return tokens.filter("ner is not null and iob = 'B'").select("sid", F.explode(terms()).alias("term"))
+    # A delivery that names nothing is as good as an empty one: so only names are shuffled with their terms.
+    item = F.when(F.col("ner").isNotNull() & (F.col("iob") == "B"), termstats.base())
+    named = unique_tokens(table(spark, sf_dir, "df_fields").withColumn("item", item), "item").filter("item is not null")
+    return named.select("sid", F.explode(termstats.terms_of("item")).alias("term"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
