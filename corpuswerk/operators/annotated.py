@@ -1,14 +1,14 @@
-"""Tokens, mentions and terms of annotated token rows.
+"""Tokens and mentions of annotated token rows.
 
 Defined cases, shared by all that build on this module:
 rows without sid or ix are no tokens; deliveries of one (sid, ix) count once, the one with the
-greatest load_ts wins and equal load_ts are settled by the greatest values; a token without word
-and lemma has no term; empty input gives empty output; columns not asked for are ignored.
+greatest load_ts wins and equal load_ts are settled by the greatest values; empty input gives empty
+output; columns not asked for are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n\f\u000b "
@@ -29,7 +29,9 @@ def mentions(tokens: DataFrame) -> DataFrame:
     A run opens at iob B, or at I where the token before is not of an open run; other iob values
     and rows without ner belong to no run.
     """
-    named = unique_tokens(tokens, "ner", "iob", "word").filter(F.col("ner").isNotNull() & F.col("iob").isin("B", "I"))
+    # A delivery that is of no run is as good as an empty one: so only words of names are shuffled.
+    part = F.when(F.col("ner").isNotNull() & F.col("iob").isin("B", "I"), F.struct("ner", "iob", "word"))
+    named = unique_tokens(tokens.withColumn("part", part), "part").filter("part is not null").select("sid", "ix", "part.*")
     order = Window.partitionBy("sid").orderBy("ix")
     opens = (F.col("iob") == "B") | F.lag("ix").over(order).isNull() | (F.lag("ix").over(order) != F.col("ix") - 1)
     runs = named.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(order))
@@ -40,11 +42,3 @@ def mentions(tokens: DataFrame) -> DataFrame:
     )
     return grouped.select("sid", "ix", F.col("first.ner").alias("kind"), F.array_join("parts.word", " ").alias("spelling"))
 
-
-def terms(lemma: str | Column = "lemma", word: str | Column = "word") -> Column:
-    """Distinct terms of a token: the parts of its lemma, else its word, lower-cased."""
-    lemma, word = (F.col(c) if isinstance(c, str) else c for c in (lemma, word))
-    base = F.btrim(F.lower(lemma), F.lit(BLANKS))
-    usable = base.isNotNull() & ~base.isin("", "<unknown>")
-    parts = F.when(usable, F.split(base, r"\|")).when(word.isNotNull(), F.array(F.lower(word)))
-    return F.array_distinct(F.filter(parts, lambda x: x != ""))
