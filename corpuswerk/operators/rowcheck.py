@@ -1,6 +1,6 @@
-"""Rows of vertical files that fail to parse, and the valid ones with types.
+"""Rows of delimited files that fail to parse, and the valid ones with types.
 
-Cells are exploded into (line, column, value), joined to a rule table and the failures are
+Columns, rules and types are parameters, by default those of vertical files. Cells are exploded into (line, column, value), joined to a rule table and the failures are
 aggregated; the valid rows are what an anti-join with the failures leaves.
 
 Defined cases: a null or blank line is neither valid nor failing; markup fails only on an odd
@@ -18,8 +18,21 @@ from pyspark.sql import functions as F
 
 # The columns of a token row, in file order.
 COLUMNS = ["word", "lc", "ix", "posUDS", "posTT", "ner", "iob", "ixNP", "dep", "ixDEP", "neg", "lemma", "pos", "posTI", "lempos", "lemmasource"]
-# Rules in the order in which the first that fails is reported.
-RULES = [("ixDEP", "ixdep", r"\A0*[0-9]{1,10}\z"), ("ixNP", "ixnp", r"\A([0-9]+([.][0-9]+)?)?\z"), ("ner", "ner", r"\A(PER|LOC|ORG|MISC)?\z")]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a column's value must match; with fits_int a whole number that also fits an int."""
+
+    column: str
+    reason: str
+    pattern: str
+    fits_int: bool = False
+
+
+# Rules in the order in which the first that fails is reported, and the columns with a type.
+RULES = [Rule("ixDEP", "ixdep", r"\A0*[0-9]{1,10}\z", True), Rule("ixNP", "ixnp", r"\A([0-9]+([.][0-9]+)?)?\z"), Rule("ner", "ner", r"\A(PER|LOC|ORG|MISC)?\z")]
+TYPES = {"ix": "int", "ixDEP": "int", "ixNP": "double"}
 INT_MAX = 2147483647
 CELL = r'\t("[^"]*+(?:""[^"]*+)*+"(?=\t|\z)|[^\t]*+)'
 QUOTED = r'(?s)\A".*"\z'
@@ -48,7 +61,8 @@ def _value(cell: Column) -> Column:
     return F.when(quoted, F.replace(F.substring(cell, 2, F.length(cell) - F.lit(2)), F.lit('""'), F.lit('"'))).otherwise(cell)
 
 
-def check_rows(lines: DataFrame, id_col: str = "line_id", line_col: str = "raw_line") -> Checked:
+def check_rows(lines: DataFrame, id_col: str = "line_id", line_col: str = "raw_line", columns: list[str] = COLUMNS, rules: list[Rule] = RULES, types: dict[str, str] = TYPES) -> Checked:
+    """failing (line_id, reason) and valid (line_id, columns); quoting is judged first, then the number of columns, then the rules in their order."""
     spark = lines.sparkSession
     line = F.col("line")
     base = lines.select(F.col(id_col).alias("line_id"), F.col(line_col).alias("line")).filter(line.isNotNull() & line.rlike(r"\S"))
@@ -60,26 +74,26 @@ def check_rows(lines: DataFrame, id_col: str = "line_id", line_col: str = "raw_l
     rows = base.filter("not markup").select("line_id", "key", _cells(line).alias("cells"))
     rows = rows.withColumn("n", F.size("cells"))
     # Rule table: one row per check of a column.
-    rules = spark.createDataFrame([(COLUMNS.index(c), reason, 2 + k) for k, (c, reason, _) in enumerate(RULES)], "col int, reason string, rank int")
+    table = spark.createDataFrame([(columns.index(r.column), 2 + k) for k, r in enumerate(rules)], "col int, rank int")
     cells = rows.select("line_id", "key", "n", F.posexplode("cells").alias("col", "cell"))
-    judged = cells.join(F.broadcast(rules), "col", "left")
+    judged = cells.join(F.broadcast(table), "col", "left")  # a row a rule
     value = _value(F.col("cell"))
     # The patterns stay literals, so that each is compiled once and not once a cell.
     meets = F.lit(True)
-    for _, reason, pattern in RULES:
-        meets = F.when(F.col("reason") == reason, value.rlike(pattern)).otherwise(meets)
-    too_large = (F.col("reason") == "ixdep") & (value.try_cast("bigint") > INT_MAX)
-    breaks = F.col("reason").isNotNull() & (~meets | F.coalesce(too_large, F.lit(False)))
-    rank = F.when(~_well_quoted(F.col("cell")), 0).when(F.col("n") != len(COLUMNS), 1).when(breaks, F.col("rank"))
+    for k, r in enumerate(rules):
+        own = value.rlike(r.pattern)
+        if r.fits_int:
+            own = own & F.coalesce(value.try_cast("bigint") <= INT_MAX, F.lit(True))
+        meets = F.when(F.col("rank") == 2 + k, own).otherwise(meets)
+    rank = F.when(~_well_quoted(F.col("cell")), 0).when(F.col("n") != len(columns), 1).when(F.col("rank").isNotNull() & ~meets, F.col("rank"))
     errors = judged.select("line_id", "key", rank.alias("rank")).filter("rank is not null").groupBy("line_id", "key").agg(F.min("rank").alias("rank"))
-    names = F.element_at(F.array(*[F.lit(x) for x in ["quoting", "columns", *[r[1] for r in RULES]]]), F.col("rank") + 1)
+    names = F.element_at(F.array(*[F.lit(x) for x in ["quoting", "columns", *[r.reason for r in rules]]]), F.col("rank") + 1)
     errors = errors.select("line_id", "key", names.alias("reason"))
     failing = errors.unionByName(bad_markup.select("line_id", "key", "reason"))
 
     clean = rows.join(errors, ["line_id", "key"], "left_anti")
-    typed = {"ix": "int", "ixDEP": "int", "ixNP": "double"}
     fields = []
-    for k, name in enumerate(COLUMNS):
+    for k, name in enumerate(columns):
         v = _value(F.col("cells")[k])
-        fields.append((v.try_cast(typed[name]) if name in typed else v).alias(name))
+        fields.append((v.try_cast(types[name]) if name in types else v).alias(name))
     return Checked(failing.select("line_id", "reason"), clean.select("line_id", *fields))

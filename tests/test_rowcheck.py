@@ -1,4 +1,4 @@
-from corpuswerk.operators.rowcheck import COLUMNS, check_rows
+from corpuswerk.operators.rowcheck import COLUMNS, Rule, check_rows
 
 GOOD = ["Haus", "haus", "1", "NOUN", "NN", "", "O", "1.5", "sb", "2", "", "Haus", "N.Reg", "NN", "Haus-n", "tt"]
 
@@ -28,3 +28,10 @@ def test_repeated_ids_and_empty_table(spark):
     assert [r.reason for r in out.failing.collect()] == ["ner"] and out.valid.count() == 2
     out = check_rows(frame.limit(0))
     assert out.failing.count() == 0 and out.valid.count() == 0
+
+
+def test_other_columns_and_rules(spark):
+    frame = spark.createDataFrame([(1, "a\t3"), (2, "b\tx"), (3, "c"), (4, "\t5"), (5, "d\t9999999999")], "id bigint, row string")
+    out = check_rows(frame, "id", "row", ["name", "n"], [Rule("name", "noname", r"\S"), Rule("n", "number", r"\A[0-9]+\z", True)], {"n": "int"})
+    assert {(r.line_id, r.reason) for r in out.failing.collect()} == {(2, "number"), (3, "columns"), (4, "noname"), (5, "number")}
+    assert [tuple(r) for r in out.valid.collect()] == [(1, "a", 3)]
