@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswerk.functions import readability, text
-from corpuswerk.operators import gazetteer, graph, models, network, stats, svo, wordclass
+from corpuswerk.operators import articles, gazetteer, graph, models, network, stats, svo, wordclass
 from corpuswerk.operators.network import Documents, Network
 from corpuswerk.plans import corpus
 from corpuswerk.plans.storage import materialized
@@ -235,6 +235,57 @@ def article_keywords(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("id_article").agg(text.joined_words(F.coalesce("word", F.lit("")), "sid", "ix", sep=", ").alias("keywords"))
 
 
+@query
+def parsed_articles(spark: SparkSession, d: str) -> DataFrame:
+    out = articles.parsed(_docs(spark, d))
+    return out.select("doc_id", "subtitle", "place", "agency", "note", F.md5("body").alias("body"), F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+def _marked_up(spark: SparkSession, d: str) -> DataFrame:
+    """The texts as files of one document each, their lines as paragraphs."""
+    t = table(spark, d, "documents").filter("text is not null and docid is not null and not contains(text, '<')")
+    head = F.format_string('<file><doc id="%s" docsrc="%s" ressort2="%s">', "docid", "source", F.coalesce("ressort2", F.lit("")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    return articles.documents(t.select(F.col("docid").alias("path"), F.concat(head, F.array_join(lines, "\n"), F.lit("</doc></file>")).alias("text")))
+
+
+@query
+def document_texts(spark: SparkSession, d: str) -> DataFrame:
+    return articles.document_texts(_marked_up(spark, d)).select(F.try_element_at("meta", F.lit("id")).alias("id"), F.md5("text").alias("digest"))
+
+
+@query
+def filtered_documents(spark: SparkSession, d: str) -> DataFrame:
+    return articles.document_texts(articles.having_any(_marked_up(spark, d), ["sport", "NBLK"])).select(F.try_element_at("meta", F.lit("id")).alias("id"))
+
+
+@query
+def paragraph_rows(spark: SparkSession, d: str) -> DataFrame:
+    return articles.paragraph_rows(_marked_up(spark, d)).select(F.try_element_at("meta", F.lit("id")).alias("id"), F.col("p_ix").cast("bigint").alias("p_ix"), F.md5("paragraph").alias("digest"))
+
+
+@query
+def long_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return articles.paragraphs_with(_marked_up(spark, d), ["id", "docsrc", "ressort2"]).groupBy("docsrc", "ressort2").agg(F.count("*").alias("n"))
+
+
+@query
+def document_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return articles.attribute_rows(_marked_up(spark, d)).groupBy("key", "value").agg(F.count("*").alias("n")).filter("key <> 'id'")
+
+
+@query
+def markup_pieces(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "vertical_lines").filter("raw_line is not null")
+    return lines.select("line_id", F.posexplode(text.markup_pieces("raw_line")).alias("at", "piece")).groupBy("line_id").agg(F.count("*").alias("n"), F.sum(F.length("piece")).alias("n_chars"))
+
+
+@query
+def paragraph_nouns(spark: SparkSession, d: str) -> DataFrame:
+    out = articles.words_of(corpus.tokens(spark, d, "id_article", "wert", "word", "posTT"), ["id_article", "wert"], F.col("posTT") == "NN")
+    return out.select("id_article", "wert", F.array_join("words", " ").alias("words"))
+
+
 # Word classes, spans and the vocabulary
 
 

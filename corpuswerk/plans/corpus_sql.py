@@ -129,6 +129,15 @@ sql("embedding_sentences", r"""SELECT doc_id, count(*) AS n, max(array_to_string
 sql("article_text", "SELECT id_article, md5(string_agg(coalesce(word, ''), ' ' ORDER BY sid, ix)) AS digest FROM tok WHERE wert = 'inhalt' GROUP BY id_article")
 sql("article_keywords", "SELECT id_article, string_agg(coalesce(word, ''), ', ' ORDER BY sid, ix) AS keywords FROM tok WHERE wert = 'stichwort' GROUP BY id_article")
 
+MARKED = "SELECT *, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND docid IS NOT NULL AND NOT contains(text, '<')"
+sql("document_texts", f"SELECT docid AS id, md5(array_to_string(list_transform(l, lambda x: lower(x)), ' ')) AS digest FROM ({MARKED})")
+sql("filtered_documents", f"SELECT docid AS id FROM ({MARKED}) WHERE ressort2 = 'sport' OR source = 'NBLK'")
+sql("paragraph_rows", f"SELECT docid AS id, (generate_subscripts(l, 1) - 1)::bigint AS p_ix, md5(lower(unnest(l))) AS digest FROM ({MARKED})")
+sql("long_paragraphs", f"SELECT docsrc, ressort2, count(*) AS n FROM (SELECT source AS docsrc, coalesce(ressort2, '') AS ressort2, unnest(l) AS x FROM ({MARKED})) WHERE len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) > 3 GROUP BY ALL")
+sql("document_attributes", f"SELECT 'docsrc' AS key, source AS value, count(*) AS n FROM ({MARKED}) GROUP BY source UNION ALL SELECT 'ressort2', coalesce(ressort2, ''), count(*) FROM ({MARKED}) GROUP BY 2")
+sql("markup_pieces", "SELECT line_id, len(l)::bigint AS n, length(raw_line)::bigint AS n_chars FROM (SELECT line_id, raw_line, regexp_extract_all(raw_line, '(?s)<[^>]+>|<|[^<]+') AS l FROM vertical_lines WHERE raw_line IS NOT NULL) WHERE len(l) > 0")
+sql("paragraph_nouns", "SELECT id_article, wert, string_agg(coalesce(word, ''), ' ' ORDER BY sid, ix) AS words FROM tok WHERE posTT = 'NN' GROUP BY id_article, wert")
+
 # Word classes, spans and the vocabulary
 sql("word_classes", "SELECT wclass, good, count(*) AS n FROM cls GROUP BY ALL")
 sql("word_class_tokens", "SELECT sid, ix::bigint AS ix, wclass, ent_id FROM cls")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuswerk.functions import readability, text
+from corpuswerk.operators import articles
 
 
 def one(spark, column, value, schema="x string"):
@@ -63,3 +64,18 @@ def test_readability_by_hand(spark):
     with pytest.raises(Exception, match="no reading ease"):
         counts.select(readability.flesch_reading_ease("syll", "words", "sents", F.lit("xx"))).collect()
     assert counts.select(readability.flesch_reading_ease("syll", "words", "sents", F.lit("xx"), strict=False)).first()[0] is None
+
+
+def test_parsed_articles_and_paragraphs(spark):
+    whole = "Utl.: Neues Amt = WIEN (APA) - Der Rat tagt , ja . Seite 3"
+    row = articles.parsed(spark.createDataFrame([(whole,)], "text string")).first()
+    assert (row.subtitle, row.place, row.agency, row.note, row.body) == ("Neues Amt", "WIEN", "APA", "Seite 3", "Der Rat tagt, ja.") and row.tokens == ["Der", "Rat", "tagt", "ja"]
+    strict = articles.parsed(spark.createDataFrame([(whole,)], "text string"), tokens_only=True).first()
+    assert "Utl" in strict.tokens and "subtitle" not in strict
+    file = '<file><doc id="Dr. Josef Hof" x="sport"><p>Dr. Josef Hof kam heute an</p><p>kurz</p></doc><doc id="2"></doc></file>'
+    docs = articles.documents(spark.createDataFrame([("f", file)], "path string, text string"), [("Josef", "Hof", "", "Dr.")])
+    assert [(r.meta["id"], r.text) for r in articles.document_texts(docs).collect()] == [("Dr. Josef Hof", "hof kam heute an kurz"), ("2", "")]
+    assert [(r.p_ix, r.paragraph) for r in articles.paragraph_rows(docs).collect()] == [(0, "hof kam heute an"), (1, "kurz")]
+    assert [r.paragraph for r in articles.paragraphs_with(docs, ["id"]).collect()] == ["Hof kam heute an"]
+    assert articles.having_any(docs, ["sport"]).count() == 1 and articles.having_any(docs, ["x", "y"]).count() == 1 and articles.having_any(docs, []).count() == 0
+    assert {(r.key, r.value) for r in articles.attribute_rows(docs).collect()} == {("id", "Dr. Josef Hof"), ("x", "sport"), ("id", "2")}
