@@ -262,6 +262,9 @@ sql("degree", DEG)
 sql("graph_overview", f"SELECT n_nodes, n_edges, n_loops, total_weight, round(2.0::double * n_edges / (n_nodes * (n_nodes - 1)), 9) AS density FROM (SELECT count(*) AS n_nodes FROM ({NODES})), (SELECT count(*) AS n_edges, count(*) FILTER (src = dst) AS n_loops, sum(weight)::bigint AS total_weight FROM ({EDGES}))")
 sql("graph_cut_off", f"SELECT src, dst, weight FROM ({EDGES}) WHERE weight >= 2 AND src IN (SELECT node FROM ({DEG}) WHERE degree >= 3) AND dst IN (SELECT node FROM ({DEG}) WHERE degree >= 3)")
 sql("community_between_edges", f"SELECT left(src, 1) AS ca, left(dst, 1) AS cb, count(*) AS n_edges, sum(weight)::bigint AS weight FROM ({EDGES}) WHERE left(src, 1) <> left(dst, 1) GROUP BY 1, 2")
+sql("connected_components", """, ed AS (SELECT DISTINCT subj AS a, obj AS b FROM prs WHERE subj IS NOT NULL AND obj IS NOT NULL), bi AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+    reach(node, other) AS (SELECT a, a FROM bi UNION SELECT r.node, e.b FROM reach r JOIN bi e ON e.a = r.other)
+    SELECT node, min(other) AS component, count(*) AS size FROM reach GROUP BY node HAVING count(*) > 2""")
 sql("node_sizes", "SELECT word AS node, count(*) AS n, count(*) * 70 + 100 AS size FROM m_words GROUP BY word")
 
 XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')".format
