@@ -35,6 +35,8 @@ ORACLES = {
     "p5_clean": LINES
     + """, snt AS (SELECT sid, min(id_article) AS id_article, coalesce(string_agg(word, ' ' ORDER BY ix), '') AS text, sid IN (SELECT sid FROM fnd) AS gone FROM tok GROUP BY sid)
     SELECT id_article, count(*) FILTER (NOT gone) AS n_kept, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(text, chr(10) ORDER BY sid) FILTER (NOT gone), '') AS text FROM snt GROUP BY id_article""",
+    # Decoding what was encoded gives the text again; null and empty texts have the same empty list of ids.
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p7_found": PAIRS + "SELECT term_a, term_b FROM lft WHERE n_ab >= 5 AND n_ab * n >= 4 * n_a * n_b",
     "p7_pairs": PAIRS + "SELECT term_a, term_b, n_ab, n_a, n_b, n, round(n_ab::double * n / (n_a::double * n_b), 6) AS lift, round(log2(n_ab::double * n / (n_a::double * n_b)), 6) AS pmi FROM lft",
 }
