@@ -12,7 +12,8 @@ over and don't count; a missing, null or empty part has no nodes; numbers writte
 whole floats are read, truth values and numbers beyond 64 bits are none and become null; lone
 surrogates become the replacement character; a payload of any depth is read; sentences of a field
 are numbered through, its own before those of its paragraphs; a repeated rec_id keeps its records
-apart by rec_part, a digest of the payload, exact repetitions of a record give repeated rows;
+apart by rec_part, a digest of the payload, exact repetitions of a record give repeated rows and
+are told apart within a run by rec_copy, so that no window holds all copies of a record;
 extra columns are ignored; empty tables give empty tables.
 """
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,18 +265,19 @@ class Walker:
 
     def schema(self) -> str:
         own = [] if self.labels_only else ["rest map<string,string>", *(f"a_{k} {v}" for k, v in self.types.items())]
-        return ", ".join(["rec_id bigint, rec_part bigint, level string, place int, pre bigint, post bigint", *own])
+        return ", ".join(["rec_id bigint, rec_part bigint, rec_copy bigint, level string, place int, pre bigint, post bigint", *own])
 
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), *(_ARROW[self.types[c]] for c in self.columns)]
-        names = ["rec_id", "rec_part", "level", "place", "pre", "post", "rest", *(f"a_{c}" for c in self.columns)]
-        kept = slice(None, 6 if self.labels_only else None)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), *(_ARROW[self.types[c]] for c in self.columns)]
+        names = ["rec_id", "rec_part", "rec_copy", "level", "place", "pre", "post", "rest", *(f"a_{c}" for c in self.columns)]
+        kept = slice(None, 7 if self.labels_only else None)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows))[kept], kinds[kept])], names[kept])
 
 
 def _label(root: Level, labels_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker = Walker(root, labels_only)
+        copy = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows: list[tuple] = []
             for rec, part, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -282,7 +285,8 @@ def _label(root: Level, labels_only: bool):
                     nodes = walker.walk(payload)
                 except (ValueError, TypeError):
                     continue
-                rows += [(rec, part, level, place, pre, post, dict(rest) if rest else None, *values) for level, place, pre, post, values, rest in nodes]
+                copy += 1
+                rows += [(rec, part, copy, level, place, pre, post, dict(rest) if rest else None, *values) for level, place, pre, post, values, rest in nodes]
                 if len(rows) > 20_000:
                     yield walker.batch(rows)
                     rows = []
@@ -325,7 +329,7 @@ def with_parents(nodes: DataFrame, root: Level = ARTICLE) -> DataFrame:
     its interval is then checked. Columns: <level>_place, <level>_pre; null where none contains it.
     """
     names = [level.name for level in levels_of(root)[1:]]
-    seen = Window.partitionBy("rec_id", "rec_part").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    seen = Window.partitionBy("rec_id", "rec_part", "rec_copy").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     out = nodes.withColumns({f"{x}_seen": F.last(F.when(F.col("level") == x, F.struct("pre", "post", "place")), ignorenulls=True).over(seen) for x in names})
     found = {}
     for x in names:
