@@ -9,7 +9,8 @@ article only what holds so many neighbouring lines of the block. Lines only serv
 stays of an article are its sentences of all parts (wert) with the words as they stand.
 
 Defined cases: as in operators.annotated for missing keys and repeated deliveries, the part (wert)
-being that of the latest delivery; a null source is a source of its own; a sentence without letters
+being that of the latest delivery; sentences of no article count for no support and stand in no
+article; a null source is a source of its own; a sentence without letters
 has an empty line, is never boilerplate and stays; a line repeated within one article counts once;
 a word without letters is left out of the line; very long lines are known by their digest; empty
 tables give empty results.
@@ -48,14 +49,14 @@ def sentence_lines(rows: DataFrame) -> DataFrame:
 
 
 def _supported(pairs: DataFrame, keys: list[str], least: int) -> DataFrame:
-    return pairs.select(*keys, "id_article").distinct().groupBy(*keys).agg(F.count("*").alias("support")).filter(F.col("support") >= least)
+    return pairs.filter("id_article is not null").select(*keys, "id_article").distinct().groupBy(*keys).agg(F.count("*").alias("support")).filter(F.col("support") >= least)
 
 
 def find_boilerplate(rows: DataFrame, least_articles: int = 4, least_lines: int = 1) -> Boilerplate:
     lines = materialized(sentence_lines(rows), "lines")
     nodes = materialized(_supported(lines.filter("node is not null"), ["node"], least_articles), "nodes")
     before = F.lag("node").over(Window.partitionBy("id_article").orderBy("sid"))
-    steps = lines.select("id_article", "sid", "node").withColumn("before", before).filter("node is not null and before is not null and node <> before")
+    steps = lines.filter("id_article is not null").select("id_article", "sid", "node").withColumn("before", before).filter("node is not null and before is not null and node <> before")
     high = nodes.select("node")
     steps = steps.join(high, "node", "left_semi").join(high.select(F.col("node").alias("before")), "before", "left_semi")
     edges = _supported(steps, ["before", "node"], least_articles)
@@ -89,7 +90,7 @@ def whole_sentences(rows: DataFrame) -> DataFrame:
 def without_boilerplate(rows: DataFrame, result: Boilerplate) -> DataFrame:
     """(id_article, n_kept, n_removed, text) of each article, its remaining sentences in order, one a line."""
     marks = result.found.select("sid", F.lit(True).alias("gone"))
-    each = whole_sentences(rows).join(marks, "sid", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    each = whole_sentences(rows).filter("id_article is not null").join(marks, "sid", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     kept = F.sort_array(F.collect_list(F.when(~F.col("gone"), F.struct("sid", "text"))))
     out = each.groupBy("id_article").agg(F.sum((~F.col("gone")).cast("bigint")).alias("n_kept"), F.sum(F.col("gone").cast("bigint")).alias("n_removed"), kept.alias("kept"))
     return out.select("id_article", "n_kept", "n_removed", F.array_join("kept.text", "\n").alias("text"))

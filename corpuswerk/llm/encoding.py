@@ -1,6 +1,6 @@
 """Encoding of texts with a public byte-level tokenizer, and decoding.
 
-Documents are spread over blocks by a hash of their row. Each block gives its distinct words once;
+Documents are spread over blocks by a hash of their row and of the partition they come from. Each block gives its distinct words once;
 the words of all blocks are shuffled by word, so that each distinct word is encoded once (once per
 WORD_BLOCKS blocks that hold it), and the ids go back to the blocks, where they are put together by
 position. What is shuffled are the texts once and the vocabulary of each block, not every word. The
@@ -65,7 +65,9 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...])
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     rows, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(1, -(-rows // BLOCK_ROWS), -(-size // BLOCK_BYTES))
-    return own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int")), n
+    # Copies of one row are spread by the partition they come from.
+    key = F.xxhash64("doc_id", F.length("text"), F.spark_partition_id())
+    return own.withColumn("block", F.pmod(key, F.lit(n)).cast("int")), n
 
 
 def _vocabulary(table: pa.Table) -> pa.Table:

@@ -139,7 +139,7 @@ def mix(records: DataFrame, targets: DataFrame, total: float | None = None, seed
     # A whole number of copies may be off by a rounding error.
     near = F.when(F.abs(F.col("copies") - F.round("copies")) < EDGE, F.round("copies")).otherwise(F.col("copies"))
     start = own.join(F.broadcast(want), "source").withColumn("copies", near)
-    start = start.select("source", "doc_id", "n_tokens", F.floor("copies").cast("int").alias("base"), (F.col("copies") - F.floor("copies")).alias("p"), F.xxhash64("doc_id", F.lit(seed)).alias("h"), "rows")
+    start = start.select("source", "doc_id", "n_tokens", F.floor("copies").cast("int").alias("base"), (F.col("copies") - F.floor("copies")).alias("p"), F.xxhash64("doc_id", "n_tokens", F.spark_partition_id(), F.lit(seed)).alias("h"), "rows")
     decided, left = None, start
     counts = {s: rows_of[s] for s in wanted}
     for depth in itertools.count():
