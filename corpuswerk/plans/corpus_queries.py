@@ -622,7 +622,7 @@ def merged_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Nouns of common sentences, three times and more."""
+    """Nouns that share sentences, twice and more."""
     return materialized(cooc_sentence(spark, d).filter("weight >= 2").select(F.col("n1").alias("src"), F.col("n2").alias("dst"), "weight"), "noun_edges")
 
 
